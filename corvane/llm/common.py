@@ -46,3 +46,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sql_literal(value, long: bool = True) -> str:
+    """SQL text of nested lists and string- or integer-keyed dicts of them. As an expression Spark folds it to one constant."""
+    if isinstance(value, dict):
+        return f"map({', '.join(f'{sql_literal(k, long)}, {sql_literal(v, long)}' for k, v in value.items())})"
+    if isinstance(value, list | tuple):
+        return f"array({', '.join(sql_literal(v, long) for v in value)})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{int(value)}{'L' if long else ''}"
+
+
+def pinned(value: Column) -> Column:
+    """``value``, held where it is computed: a later filter on it isn't pushed below and so doesn't compute it again,
+    once per element of an array inside a lambda."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)

@@ -53,3 +53,17 @@ f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
 NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
   OR 100 * n_dup_lines > 60 * n_lines OR shouts OR longest > 500) AS kept FROM f"""
+
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _shingles(table: str, key: str) -> str:
+    words = f"regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}')"
+    return f"""SELECT DISTINCT {key}, g FROM (SELECT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN ['#' || array_to_string(w, ' ')] ELSE [] END) AS g FROM (SELECT {key}, {words} AS w FROM {table}))"""
+
+
+DECONTAMINATION = f"""WITH d AS ({_shingles('documents', 'doc_id')}), b AS ({_shingles('benchmark', 'item_id')}),
+sizes AS (SELECT item_id, count(*) AS item_size FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS matched, item_size, count(*) / item_size AS containment FROM d JOIN b USING (g) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, item_size HAVING 10 * count(*) >= 8 * item_size"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import oracle, pii, quality_rules
+from corvane.llm import decontaminate, mixing, oracle, pii, quality_rules, sharding, url_filter
 from corvane.llm.common import table
 
 
@@ -14,15 +14,36 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_sharding": op2_sharding,
+    "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_pii": oracle.PII,
     "op7_quality_rules": oracle.QUALITY_RULES,
+    "op9_decontamination": oracle.DECONTAMINATION,
 }
