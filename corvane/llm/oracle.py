@@ -67,3 +67,14 @@ DECONTAMINATION = f"""WITH d AS ({_shingles('documents', 'doc_id')}), b AS ({_sh
 sizes AS (SELECT item_id, count(*) AS item_size FROM b GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS matched, item_size, count(*) / item_size AS containment FROM d JOIN b USING (g) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, item_size HAVING 10 * count(*) >= 8 * item_size"""
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+JACCARD_JOIN = f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT row, g FROM (SELECT row, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN ['#' || array_to_string(w, ' ')] ELSE [] END) AS g FROM w)),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+links AS (SELECT x.row AS a, y.row AS b FROM s x JOIN s y USING (g) JOIN n nx ON nx.row = x.row JOIN n ny ON ny.row = y.row
+  WHERE x.row <> y.row GROUP BY x.row, y.row, nx.n, ny.n HAVING 100 * count(*) >= 80 * (nx.n + ny.n - count(*))),
+reached(a, b) AS (SELECT row, row FROM w UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM w JOIN reached ON reached.a = w.row JOIN w o ON o.row = reached.b LEFT JOIN n ON n.row = w.row
+GROUP BY w.row, w.doc_id, n.n"""
