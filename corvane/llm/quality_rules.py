@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-A sample gives each rule's cost (work units: characters, words or lines that it touches) and selectivity; the rules then
+A hashed sample gives each rule's cost (work units: characters, words or lines that it touches) and selectivity; the rules then
 stand in one CASE in falling order of rejection per cost, so a text stops at the first rule that rejects it. Which
 texts are kept doesn't depend on the order. All features come from the text of one row: no shuffle, no Python.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, text_or_empty, words_of
+from corvane.llm.common import WORD, pinned, text_or_empty, words_of
 
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 5
@@ -93,32 +93,36 @@ class Estimate:
         return self.selectivity / max(self.cost, 1e-9)
 
 
-def estimate(features: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000) -> list[Estimate]:
-    """Each rule's mean cost and share of rejected rows over the first ``sample_rows`` rows (a stated bound, which reads
-    no more partitions than it needs). It sets the order only. Without rows all shares are 0."""
-    n = "n"
+def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, one_in: int = 64) -> list[Estimate]:
+    """Each rule's mean cost and share of rejected rows over the rows, one in ``one_in``, that a hash of the id picks.
+
+    It sets the order of the rules only. The scan is whole, but only picked rows compute features, and nothing is
+    shuffled but one row a task. Without rows all shares are 0."""
+    features = text_features(df.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0))
     made = [F.avg(r.work().cast("double")).alias(f"c{i}") for i, r in enumerate(rules)] + [F.avg(F.coalesce(r.rejects(), F.lit(False)).cast("double")).alias(f"s{i}") for i, r in enumerate(rules)]
-    row = features.limit(sample_rows).agg(F.count(F.lit(1)).alias(n), *made).head()
+    row = features.agg(*made).head()
     return [Estimate(r.name, row[f"c{i}"] or 1.0, row[f"s{i}"] or 0.0) for i, r in enumerate(rules)]
 
 
-def cascade(features: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000) -> DataFrame:
-    """Adds ``rejected_by`` (the first rule in cascade order that rejects the row, else null) and ``kept``."""
-    worth = {e.name: e.worth for e in estimate(features, rules, sample_rows)}
+def cascade(df: DataFrame, rules: Sequence[Rule] = RULES, one_in: int = 64) -> DataFrame:
+    """Adds the features, ``rejected_by`` (the first rule in cascade order that rejects the row, else null) and ``kept``.
+
+    ``df``: doc_id and text, and columns of other names than the features'."""
+    worth = {e.name: e.worth for e in estimate(df.select("doc_id", "text"), rules, one_in)}
     verdict = None
     for rule in sorted(rules, key=lambda r: (-worth[r.name], [x.name for x in rules].index(r.name))):
         verdict = (F.when if verdict is None else verdict.when)(F.coalesce(rule.rejects(), F.lit(False)), rule.name)
-    return features.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+    return text_features(df).withColumn("rejected_by", pinned(verdict)).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def quality_digest(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents``. Short and empty texts fail the base rule on words."""
-    judged = cascade(text_features(documents.select("doc_id", "text")))
+    judged = cascade(documents.select("doc_id", "text"))
     failed = BASE_RULES[0].rejects() | BASE_RULES[1].rejects()
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
     """The rows that no rule rejects, with their own columns. Columns that clash with the features' names are kept as they are."""
-    own = documents.select(F.col("text").alias("text"), F.struct(*[documents[c] for c in documents.columns]).alias("_row"))
-    return cascade(text_features(own)).where("kept").select("_row.*")
+    own = documents.select("doc_id", "text", F.struct(*[documents[c] for c in documents.columns]).alias("_row"))
+    return cascade(own).where("kept").select("_row.*")
