@@ -233,45 +233,57 @@ def _reduce_entries(blocks: pa.Table) -> pa.Table:
     run = np.cumsum(first) - 1
     many = np.bincount(run)[run] > 1
     ids, nodes, sizes = ids[many].astype(np.int64) | (part << 32), nodes[many], sizes[many]
-    rows = [("entries", ids.tobytes(), nodes.tobytes(), sizes.tobytes())] if len(ids) else []
-    a, b = _proposals(ids, nodes, sizes)
+    rows = [("entries", ids.tobytes(), nodes.tobytes(), sizes.tobytes(), None, None)] if len(ids) else []
+    a, b, na, nb = _proposals(ids, nodes, sizes)
     if len(a):
         order = np.lexsort((a, b))
-        a, b = a[order], b[order]
+        a, b, na, nb = a[order], b[order], na[order], nb[order]
         new = np.ones(len(a), dtype=bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         at = np.flatnonzero(new)
-        rows.append(("pairs", a[at].tobytes(), b[at].tobytes(), np.diff(np.append(at, len(a))).astype("<u4").tobytes()))
-    names = (("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()))
+        rows.append(("pairs", a[at].tobytes(), b[at].tobytes(), np.diff(np.append(at, len(a))).astype("<u4").tobytes(), na[at].tobytes(), nb[at].tobytes()))
+    names = (("kind", pa.string()), *((c, pa.binary()) for c in ("a", "b", "c", "na", "nb")))
     return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(names)})
 
 
-def _proposals(ids: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _proposals(ids: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((nodes, sizes, ids))
     ids, nodes, sizes = ids[order], nodes[order], sizes[order]
-    centre = np.empty(len(ids), dtype=np.int64)
+    centre = np.empty(len(ids), dtype=np.int64)  # places
     begin = 0
     bounds = np.append(np.flatnonzero(np.diff(ids)) + 1, len(ids)) if len(ids) else []
     for end in bounds:
         while begin < end:  # sizes that could be similar to the smallest left
             stop = begin + int(np.searchsorted(sizes[begin:end], sizes[begin] * 100 // PERCENT, side="right"))
-            centre[begin:stop] = nodes[begin:stop].min()
+            centre[begin:stop] = begin + int(nodes[begin:stop].argmin())
             begin = stop
-    real = centre != nodes
-    return centre[real], nodes[real]
+    real = np.flatnonzero(centre != np.arange(len(ids)))
+    return nodes[centre[real]], nodes[real], sizes[centre[real]], sizes[real]
 
 
-def _unpack(kind: str, names: tuple[str, str, str], types: tuple[str, str, str]):
+_INDEX = "kind string, a binary, b binary, c binary, na binary, nb binary"
+
+
+def _unpack(df: DataFrame, kind: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows of bigint columns from packed arrays; ``columns``: name by packed column, with its type."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x[c], t).astype(np.int64)) for c, t in zip("abc", types, strict=True)], list(names))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x[c], t).astype(np.int64)) for c, (_, t) in columns.items()], [n for n, _ in columns.values()])
 
-    return lambda df: df.where(F.col("kind") == kind).select("a", "b", "c").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return df.where(F.col("kind") == kind).select(*columns).mapInArrow(run, ", ".join(f"{n} bigint" for n, _ in columns.values()))
 
 
-_entries = _unpack("entries", ("token", "node", "n"), ("<i8", "<i8", "<u4"))
-_pairs = _unpack("pairs", ("a", "b", "c"), ("<i8", "<i8", "<u4"))
+def _entries(index: DataFrame) -> DataFrame:
+    return _unpack(index, "entries", {"a": ("token", "<i8"), "b": ("node", "<i8"), "c": ("n", "<u4")})
+
+
+def _best(index: DataFrame) -> DataFrame:
+    """(a, b, na, nb, c): each node's proposal that shares most buckets."""
+    pairs = _unpack(index, "pairs", {"a": ("a", "<i8"), "b": ("b", "<i8"), "c": ("c", "<u4"), "na": ("na", "<u4"), "nb": ("nb", "<u4")})
+    best = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).groupBy("b").agg(F.max_by(F.struct("a", "na", "nb", "c"), F.struct("c", "a")).alias("x"))
+    return best.select("x.a", "b", "x.na", "x.nb", "x.c")
 
 
 # --- verification ---------------------------------------------------------------------------------------------------
@@ -304,33 +316,35 @@ def _bloom(nodes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     return np.unpackbits(out.ravel()).astype(bool)
 
 
-def _wanted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A table (node, tokens) with the sets of at least ``nodes``, each once."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(_bloom(nodes)))
+def _wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """A table (node, tokens) with the sets of at least the documents with ``ids`` (doc_id)."""
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(_bloom(ids.select(F.coalesce("doc_id", F.lit(-1))))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(wanted.value).astype(bool)
-        held: list[tuple[int, np.ndarray]] = []
-        for node, tokens in _sets(batches):
-            if bits[_bloom_places(np.array([node]), len(bits))].all():
-                held.append((node, tokens.view(np.int64)))
-            if len(held) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([t for _, t in held], pa.list_(pa.int64()))], ["node", "tokens"])
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([t for _, t in held], pa.list_(pa.int64()))], ["node", "tokens"])
-
-    found = docs.mapInArrow(run, "node bigint, tokens array<bigint>")
-    return written(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a < b) whose sets are similar, as a table."""
+        for batch in batches:
+            own = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = batch.filter(pa.array(bits[_bloom_places(own, len(bits))].all(axis=0)))
+            for at in range(0, part.num_rows, 500):
+                held = list(_sets([part.slice(at, 500)]))
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([t.view(np.int64) for _, t in held], pa.list_(pa.int64()))], ["node", "tokens"])
+
+    return written(docs.mapInArrow(run, "node bigint, tokens array<bigint>"), "sets")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a < b) whose sets are similar, as a table. Only sets that a pair needs leave their tasks: of each node
+    that of its document with the smallest id."""
+    pairs = written(pairs.select("a", "b"), "pairs")
+    if not pairs.head(1):
+        return pairs
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _wanted_sets(docs, nodes.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     similar = 100 * both >= PERCENT * (F.size("x") + F.size("y") - both)
-    return written(pairs.join(two, "b").join(one, "a").where(similar).select("a", "b"), "links")
+    return written(pairs.join(two, "b").join(one, "a").where(similar).select("a", "b").distinct(), "links")
 
 
 def _across(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -367,16 +381,16 @@ def _could_reach(c) -> object:
     return c + F.greatest(need(F.col("na")), need(F.col("nb"))) - 1 >= least
 
 
-def similar_nodes(docs: DataFrame, bits: int) -> DataFrame | None:
-    """(node, root) for nodes that are linked to a smaller one; None if nothing is linked."""
+def similar_nodes(docs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """(node, root) for nodes that are linked to a smaller one. ``nodes``: the table of each document's node."""
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(_frequent(docs, bits))
-    blocks = docs.mapInArrow(_map_entries(bits, frequent), "part int, tokens binary, nodes binary, sizes binary")
-    index = written(blocks.groupBy("part").applyInArrow(_reduce_entries, "kind string, a binary, b binary, c binary"), "index")
-    entries, proposed = _entries(index), _pairs(index)
-    sets = _wanted_sets(docs, entries.select("node").distinct())
-    best = proposed.groupBy("a", "b").agg(F.sum("c").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    links = _verified(best, sets)
+    texts = docs.select("text")
+    frequent = spark.sparkContext.broadcast(_frequent(texts, bits))
+    layout = "part int, tokens binary, nodes binary, sizes binary"
+    index = written(texts.mapInArrow(_map_entries(bits, frequent), layout).groupBy("part").applyInArrow(_reduce_entries, _INDEX), "index")
+    entries = _entries(index)
+    # What a first proposal misses by counting too few buckets, the next step finds.
+    links = _verified(docs, nodes, _best(index).where(_could_reach(F.col("c"))))
     labels = components(links)
 
     labelled, buckets = _across(entries, labels)
@@ -387,8 +401,7 @@ def similar_nodes(docs: DataFrame, bits: int) -> DataFrame | None:
     for side in ("a", "b"):
         pairs = pairs.join(in_hot.select(F.col("node").alias(side), F.col("h").alias(f"h{side}")), side, "left")
     hidden = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    more = _verified(pairs.where(_could_reach(F.col("c") + hidden)).select("a", "b"), sets)
-    links = links.union(more)
+    links = links.union(_verified(docs, nodes, pairs.where(_could_reach(F.col("c") + hidden))))
     labels = components(written(links.distinct(), "links"))
 
     hot = _across(entries.join(buckets.where(is_hot).select("token"), "token", "left_semi"), labels)[1].select("token")
@@ -396,13 +409,11 @@ def similar_nodes(docs: DataFrame, bits: int) -> DataFrame | None:
     if len(tokens) > MAX_FREQUENT:
         raise ValueError(f"more than {MAX_FREQUENT} hot tokens: raise DIRECT or MAX_FREQUENT")
     if len(tokens):
-        blocks = docs.mapInArrow(_map_entries(bits, frequent, spark.sparkContext.broadcast(np.sort(tokens))), "part int, tokens binary, nodes binary, sizes binary")
-        index = written(blocks.groupBy("part").applyInArrow(_reduce_entries, "kind string, a binary, b binary, c binary"), "index")
-        proposed = _pairs(index).groupBy("a", "b").agg(F.sum("c").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-        links = links.union(_verified(proposed, sets))
+        combined = _map_entries(bits, frequent, spark.sparkContext.broadcast(np.sort(tokens)))
+        index = written(texts.mapInArrow(combined, layout).groupBy("part").applyInArrow(_reduce_entries, _INDEX), "index")
+        links = links.union(_verified(docs, nodes, _best(index)))
         labels = components(written(links.distinct(), "links"))
-        labelled, buckets = _across(_entries(index), labels)
-        links = links.union(_verified(_cross_pairs(labelled, buckets).select("a", "b"), sets))
+        links = links.union(_verified(docs, nodes, _cross_pairs(*_across(_entries(index), labels))))
         labels = components(written(links.distinct(), "links"))
     return labels
 
@@ -420,7 +431,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     if not total:
         return alone
     bits = max(4, int(np.ceil(np.log2(total / PART_TOKENS))) if total > PART_TOKENS else 0)
-    labels = similar_nodes(docs.select("text"), bits)
+    labels = similar_nodes(docs, nodes, bits)
     rooted = nodes.where("n_shingles > 0").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n_shingles", "root")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select("doc_id", "n_shingles", "component_id").union(alone)
