@@ -1,8 +1,9 @@
 """License notices in texts: exact phrases, and short notices with errors.
 
-A notice that may hold k errors is split into k + 1 pieces; by the pigeonhole principle one of them stands in the text
-exactly. The pieces are the seeds that locate candidate windows; in these the ``regex`` library's bounded-error matching
-verifies the edits and reports the spans. Texts without a seed (nearly all) cost a few substring searches.
+A notice that may hold k errors is split into k + 2 pieces; by the pigeonhole principle two of them stand in the text
+exactly, with at most k characters more or less between them than in the notice. The pieces are the seeds that locate
+candidate windows; in these the ``regex`` library's bounded-error matching verifies the edits and reports the spans.
+Texts without two seeds (nearly all) cost a few substring searches.
 """
 
 from __future__ import annotations
@@ -43,17 +44,21 @@ class Notice:
     text: bytes
     errors: int
     seeds: tuple[tuple[int, bytes], ...]
+    crumbs: tuple[bytes, ...]
     pattern: regex.Pattern
+    best: regex.Pattern
 
 
 def compiled(notices: tuple[tuple[str, str], ...] = NOTICES) -> list[Notice]:
     out = []
     for label, words in notices:
         text = words.encode()
-        k = len(text) // CHARS_PER_ERROR
-        cut = [len(text) * i // (k + 1) for i in range(k + 2)]
+        k = max(1, len(text) // CHARS_PER_ERROR)
+        cut = [len(text) * i // (k + 2) for i in range(k + 3)]
         seeds = tuple((a, text[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True))
-        out.append(Notice(label, text, k, seeds, regex.compile(b"(?b)(?:" + regex.escape(text, literal_spaces=True) + b"){e<=%d}" % k)))
+        crumbs = tuple(text[len(text) * i // (3 * k) : len(text) * (i + 1) // (3 * k)] for i in range(3 * k))
+        pattern = b"(?:" + regex.escape(text, literal_spaces=True) + b"){e<=%d}" % k
+        out.append(Notice(label, text, k, seeds, crumbs, regex.compile(pattern), regex.compile(b"(?b)" + pattern)))
     return out
 
 
@@ -65,21 +70,24 @@ def _places(text: bytes, part: bytes) -> Iterator[int]:
 
 
 def find_notice(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
-    """(start, end, errors) in ``text`` (words joined by blanks) of each match; candidate windows that touch are one."""
-    windows = []
-    for offset, seed in notice.seeds:
-        for at in _places(text, seed):
-            start = at - offset - notice.errors
-            windows.append((max(0, start), min(len(text), start + len(notice.text) + 2 * notice.errors)))
-    found, joined = [], []
-    for a, b in sorted(windows):
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(b, joined[-1][1])
-        else:
-            joined.append([a, b])
+    """(start, end, errors) in ``text`` (words joined by blanks) of each match; candidate windows that touch are one.
+    The best match is looked for only where there is one."""
+    hits = [(at - offset, i) for i, (offset, seed) in enumerate(notice.seeds) if seed in text for at in _places(text, seed)]
+    k, joined, last = notice.errors, [], {}
+    for begin, i in sorted(hits):  # where the notice would begin by each seed
+        near = [b for j, b in last.items() if j != i and begin - b <= k]
+        last[i] = begin
+        if near:
+            a, b = max(0, min(near) - k), min(len(text), begin + len(notice.text) + k)
+            if joined and a <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+            else:
+                joined.append((a, b))
+    found = []
     for a, b in joined:
-        for m in notice.pattern.finditer(text[a:b]):
-            found.append((a + m.start(), a + m.end(), sum(m.fuzzy_counts)))
+        # Of 3 k pieces, k errors leave 2 k: cheap to count, and few windows go on to the matcher.
+        if sum(c in text[a:b] for c in notice.crumbs) >= len(notice.crumbs) - k and notice.pattern.search(text[a:b]):
+            found += [(a + m.start(), a + m.end(), sum(m.fuzzy_counts)) for m in notice.best.finditer(text[a:b])]
     return found
 
 
