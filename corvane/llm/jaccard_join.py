@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import written
-from corvane.llm.components import components
+from corvane.llm.components import merged, trees
 from corvane.llm.hashing import mix, texts_shingles
 
 PERCENT = 80
@@ -390,8 +390,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
     index = written(texts.mapInArrow(_map_entries(bits, frequent), layout).groupBy("part").applyInArrow(_reduce_entries, _INDEX), "index")
     entries = _entries(index)
     # What a first proposal misses by counting too few buckets, the next step finds.
-    links = _verified(docs, nodes, _best(index).where(_could_reach(F.col("c"))))
-    labels = components(links)
+    labels = trees(_verified(docs, nodes, _best(index).where(_could_reach(F.col("c")))))
 
     labelled, buckets = _across(entries, labels)
     buckets = written(buckets, "buckets")
@@ -401,8 +400,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(in_hot.select(F.col("node").alias(side), F.col("h").alias(f"h{side}")), side, "left")
     hidden = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    links = links.union(_verified(docs, nodes, pairs.where(_could_reach(F.col("c") + hidden))))
-    labels = components(written(links.distinct(), "links"))
+    labels = merged(labels, _verified(docs, nodes, pairs.where(_could_reach(F.col("c") + hidden))))
 
     hot = _across(entries.join(buckets.where(is_hot).select("token"), "token", "left_semi"), labels)[1].select("token")
     tokens = np.array([r[0] for r in hot.limit(MAX_FREQUENT + 1).collect()], dtype=np.int64)
@@ -411,10 +409,8 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
     if len(tokens):
         combined = _map_entries(bits, frequent, spark.sparkContext.broadcast(np.sort(tokens)))
         index = written(texts.mapInArrow(combined, layout).groupBy("part").applyInArrow(_reduce_entries, _INDEX), "index")
-        links = links.union(_verified(docs, nodes, _best(index)))
-        labels = components(written(links.distinct(), "links"))
-        links = links.union(_verified(docs, nodes, _cross_pairs(*_across(_entries(index), labels))))
-        labels = components(written(links.distinct(), "links"))
+        labels = merged(labels, _verified(docs, nodes, _best(index)))
+        labels = merged(labels, _verified(docs, nodes, _cross_pairs(*_across(_entries(index), labels))))
     return labels
 
 
