@@ -64,6 +64,34 @@ def test_mixing(spark):
     assert laid.columns == ["doc_id", "source", "slot"] and laid.count() == len(rows)
 
 
+def test_mixing_follows_exact_weights(spark):
+    sizes = {"big": 4000, "rare": 9} | {f"s{i}": 800 + 37 * i for i in range(6)}
+    weights = {s: n**0.5 for s, n in sizes.items()} | {"rare": 0.01}
+    rows = [(s, i) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame([(k, s) for k, (s, _) in enumerate(rows)], "doc_id long, source string")
+    done = mixing.mix(df, weights, block=1).select("slot", "source", "source_block").toPandas().sort_values("slot")
+    assert done.slot.tolist() == list(range(len(rows)))
+    left, total = dict(sizes), sum(weights.values())
+    counts = dict.fromkeys(sizes, 0)
+    for t, (s, own) in enumerate(zip(done.source, done.source_block, strict=True)):
+        assert own == counts[s]
+        counts[s] += 1
+        assert max(abs(n - (t + 1) * weights[x] / total) for x, n in counts.items()) < 1
+        if counts[s] == left[s]:
+            break
+    assert t > 3000
+    again = mixing.mix(df, weights, block=1, cycle=500).select("slot", "source", "source_block").toPandas().sort_values("slot")
+    assert (again.values == done.values).all()
+
+
+def test_mixing_of_weight_zero(spark):
+    df = spark.createDataFrame([(i, "none" if i % 4 else "some") for i in range(200)], "doc_id long, source string")
+    done = mixing.mix(df, {"none": 0.0}, block=2).toPandas()
+    assert done[done.source == "some"].slot.max() < done[done.source == "none"].slot.min() and done.slot.nunique() == 100
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"none": -1.0})
+
+
 def plain_count(vocabulary, word):
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
