@@ -1,6 +1,7 @@
 """Personal data, quality rules, URL filters and decontamination against plain Python."""
 
 import hashlib
+import itertools
 import re
 
 import pytest
@@ -106,3 +107,25 @@ def test_mined_urls(spark):
     blocked = {r.page_id for r in url_filter.url_digest(pages, labels).where("verdict = 'block'").collect()}
     assert blocked == {i for i in range(300) if i % 3 == 0 and i % 2}
     assert url_filter.mine(url_filter.labelled_urls(pages, labels.limit(0))) == []
+
+
+def test_rules_of_few_rows_in_a_large_table(spark):
+    tokens = "CASE WHEN id % 19000 = 7 THEN array('h:org', 'p:rare') ELSE array('h:org', concat('p:', id % 5)) END AS tokens"
+    labelled = spark.range(400_000).selectExpr("id", tokens, "id % 19000 = 7 OR id % 4 = 0 AS bad")
+    assert labelled.where("array_contains(tokens, 'p:rare')").count() == 22
+    assert [m.tokens for m in url_filter.mine(labelled)] == [("p:rare",)]
+
+
+def test_subset_rules_push_out_no_rule(spark):
+    hot = [f"p:{c}" for c in "abcdefghij"]  # always together
+    also = [f"q:{c}" for c in "uvwx"]  # with those, and in other rows
+    rows = [(["h:hot", *hot, *also], True)] * 40 + [(["h:other", "p:buy"], i > 3) for i in range(30)] + [(["h:other", "p:read"], False)] * 60
+    rows += [([t, "h:other"], False) for t in also for _ in range(60)] + [(["h:two", "p:x"], True)] * 25 + [(["h:two"], False)] * 20 + [(["p:x"], False)] * 20
+    labelled = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, tokens array<string>, bad boolean")
+    mined = url_filter.mine(labelled)
+    alone = {frozenset([t]) for t in ["h:hot", *hot]}
+    pairs = {frozenset(x) for x in itertools.combinations(also, 2)}
+    assert {frozenset(m.tokens) for m in mined} == alone | pairs | {frozenset(["p:buy"]), frozenset(["h:two", "p:x"])}
+    pages = spark.createDataFrame([(1, "http://hot/x"), (2, "http://two/x"), (3, "http://two/y"), (4, "http://other/buy"), (5, "http://other/?u=1&v=2&w")], "page_id long, url string")
+    got = [{r.page_id: (r.mined, r.verdict) for r in url_filter.judge(pages, mined, literal_rules=n).collect()} for n in (1000, 0)]
+    assert got[0] == got[1] and [got[0][i][1] for i in range(1, 6)] == ["block", "block", "allow", "block", "block"] and len(got[0][5][0]) == 3
