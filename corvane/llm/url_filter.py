@@ -1,7 +1,7 @@
 """URL filters: fixed host and path rules, then association rules that Spark's FP-growth mines from labelled URLs.
 
 A transaction is the set of a labelled URL's tokens with its label; all of them count. Rules that conclude the bad label and
-pass the confidence, lift and support bounds, without a more general rule that does as well, are kept in an inverted index from token to rule,
+pass the confidence and support bounds, without a more general rule that does as well, are kept in an inverted index from token to rule,
 which every URL is matched against inside its row.
 """
 
@@ -87,9 +87,9 @@ def _needed(rules: DataFrame, min_confidence: float) -> DataFrame:
     return kept
 
 
-def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = 0.8, min_lift: float = 2.0) -> list[Mined]:
-    """Rules from rows (id, tokens, bad): all that hold in ``min_rows`` bad rows or more, with the confidence and lift. Rows
-    with a null ``bad`` don't count. What is kept after pruning comes to the driver."""
+def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = 0.8) -> list[Mined]:
+    """Rules from rows (id, tokens, bad): all that hold in ``min_rows`` bad rows or more, with the confidence. Rows with a
+    null ``bad`` don't count. What is kept after pruning comes to the driver."""
     labelled = labelled.where(F.col("bad").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "tokens", "bad")
     marked = F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
     rows = written(labelled.select("row", marked.alias("items")).where(F.size("items") > 0), "url-labelled")
@@ -102,7 +102,7 @@ def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float =
     sets = written(sets.select(F.array_sort("items").alias("tokens"), "freq"), "url-sets")
     hits = sets.where(F.array_contains("tokens", BAD) & (F.size("tokens") > 1)).select(F.array_remove("tokens", BAD).alias("tokens"), F.col("freq").alias("hits"))
     rules = written(hits.join(sets, "tokens").select("tokens", "hits", (F.col("hits") / F.col("freq")).alias("confidence")), "url-rules")
-    kept = _needed(rules, max(min_confidence, min_lift * n_bad / n)).collect()
+    kept = _needed(rules, min_confidence).collect()
     out = [Mined(tuple(sorted(t)), r.confidence, r.hits / n) for r in kept for t in itertools.product(*(groups.get(x, [x]) for x in r.tokens))]
     return sorted(out, key=lambda r: (len(r.tokens), -r.confidence, -r.support, r.tokens))
 

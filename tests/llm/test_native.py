@@ -129,3 +129,9 @@ def test_subset_rules_push_out_no_rule(spark):
     pages = spark.createDataFrame([(1, "http://hot/x"), (2, "http://two/x"), (3, "http://two/y"), (4, "http://other/buy"), (5, "http://other/?u=1&v=2&w")], "page_id long, url string")
     got = [{r.page_id: (r.mined, r.verdict) for r in url_filter.judge(pages, mined, literal_rules=n).collect()} for n in (1000, 0)]
     assert got[0] == got[1] and [got[0][i][1] for i in range(1, 6)] == ["block", "block", "allow", "block", "block"] and len(got[0][5][0]) == 3
+
+
+def test_rules_where_most_rows_are_bad(spark):
+    rows = [(["h:spam"], True)] * 90 + [(["h:mixed"], i > 5) for i in range(60)] + [(["h:good"], i % 3 == 0) for i in range(60)]
+    labelled = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, tokens array<string>, bad boolean")
+    assert {(m.tokens, m.confidence) for m in url_filter.mine(labelled)} == {(("h:spam",), 1.0), (("h:mixed",), 0.9)}
