@@ -18,7 +18,7 @@ from corvane.llm.common import text_or_empty
 @dataclass(frozen=True)
 class Kind:
     """``pattern`` proposes; it is possessive where that changes no match, so long runs stay linear. ``needs``: what any
-    match contains. ``score`` without and ``context_score`` with one of the ``context`` words in the text just before."""
+    match contains, a character or a class. ``score`` without and ``context_score`` with one of the ``context`` words in the text just before."""
 
     name: str
     pattern: str
@@ -37,7 +37,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", 0.8, 1.0, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, 0.95, "tel|phone|call|mobile|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[0-9]", 0.8, 1.0, "iban|account|bank", base=False),
-    Kind("secret", r"[=:]\x20?[\x22\x27]?[A-Za-z0-9+/_-]{20,}+", "[0-9]", 0.2, 0.9, "token|secret|passw|api.?key|access.?key|private.?key", base=False),
+    Kind("secret", r"[=:]\x20?[\x22\x27]?[A-Za-z0-9+/_-]{20,}+", "[=:]", 0.2, 0.9, "token|secret|passw|api.?key|access.?key|private.?key", base=False),
 )
 #: Spans that the method adds are kept from this score on; those of the base kinds always.
 KEEP_FROM = 0.5
@@ -101,7 +101,7 @@ def find_pii(df: DataFrame, text_column: str = "text", kinds: tuple[Kind, ...] =
     replaced. Repeated rows give the same spans each.
     """
     text, none = text_or_empty(text_column), F.array().cast(_FOUND)
-    has = {need: text.rlike("[0-9]") if need == "[0-9]" else F.contains(text, F.lit(need)) for need in {k.needs for k in kinds}}
+    has = {need: text.rlike(need) if need.startswith("[") else F.contains(text, F.lit(need)) for need in {k.needs for k in kinds}}
     found = [F.when(has[k.needs], _spans(text, k, rank)).otherwise(none) for rank, k in enumerate(kinds)]
     return df.withColumn("spans", F.array_sort(F.concat(*found)))
 

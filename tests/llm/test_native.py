@@ -48,6 +48,12 @@ def test_pii(spark):
     assert redacted == "mail <email>, <email>."  # a domain ends before a full stop that nothing follows
 
 
+def test_secrets_without_digits(spark):
+    texts = ["api_key: abcdefghijklmnopqrstuvwxyz", "api_key=abcdefghijklmnopqrstuvwxyz x@y.org", "api_key abcdefghijklmnopqrstuvwxyz", "see: abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.spans for r in pii.pii_digest(df).orderBy("doc_id").collect()] == ["secret:9:35", "secret:8:34,email:35:42", "", ""]
+
+
 def repeats(words):
     grams = {}
     for i in range(len(words) - 4):
