@@ -4,7 +4,8 @@ An item of q shingles of which a share c is asked for may miss (1 - c) q of them
 hashes is in any document that holds it. Items are partitioned by the power of two of q, and each partition keeps that
 many lowest hashes for its largest size: a bottom-k MinHash signature whose length follows the size, which finds short
 items in documents of any length and misses none. A document's hashes are held against the signatures' index; the items
-found are verified by counting shared shingles.
+found are verified by counting shared shingles. An item of fewer words than a shingle is one hash, which is looked for among
+the documents' windows of its own length.
 """
 
 from __future__ import annotations
@@ -24,24 +25,34 @@ LITERAL_HASHES = 1 << 17
 
 def shingle_hashes(text: Column) -> Column:
     """Hashes of the windows of five words; of one to four words, one hash of them all; of none or null, none."""
-    return _windows(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1)))
+    return _item_windows(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1)))
 
 
-def _windows(words: Column) -> Column:
-    none = F.array().cast("array<bigint>")
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW)))
-    return F.when(F.size(words) >= WINDOW, many).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(none)
+def _windows(words: Column, length: int) -> Column:
+    at = F.sequence(F.lit(0), F.size(words) - length)
+    return F.when(F.size(words) >= length, F.transform(at, lambda i: F.xxhash64(F.slice(words, i + 1, length)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _shingled(df: DataFrame, text_column: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_column), F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
-    return df.withColumn("_words", words).withColumn("_hashes", _windows(F.col("_words"))).drop("_words")
+def _item_windows(words: Column) -> Column:
+    return F.when((F.size(words) > 0) & (F.size(words) < WINDOW), F.array(F.xxhash64(words))).otherwise(_windows(words, WINDOW))
+
+
+def _with_words(df: DataFrame, text_column: str) -> DataFrame:
+    return df.withColumn("_words", F.regexp_extract_all(F.lower(F.coalesce(F.col(text_column), F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1)))
+
+
+def _shingled(df: DataFrame, text_column: str, short: list[int]) -> DataFrame:
+    """``_hashes``: of the windows of five words, and of those of the lengths ``short``, which the short items have."""
+    hashes = [_windows(F.col("_words"), n) for n in (WINDOW, *short)]
+    return _with_words(df, text_column).withColumn("_hashes", F.concat(*hashes) if short else hashes[0]).drop("_words")
 
 
 def signatures(benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """item_id, size, hashes (sorted, distinct), signature. Items without words have none and match nothing.
+    """item_id, size, hashes (sorted, distinct), signature, short (the words of an item with fewer than five, else 0). Items without words have none and match nothing.
     Repeated item ids with one text count once; with several texts each text is an item of that id."""
-    items = _shingled(benchmark.select("item_id", "text"), "text").select("item_id", F.array_sort(F.array_distinct("_hashes")).alias("hashes"))
+    words = F.col("_words")
+    short = F.when(F.size(words) < WINDOW, F.size(words)).otherwise(0).alias("short")
+    items = _with_words(benchmark.select("item_id", "text"), "text").select("item_id", F.array_sort(F.array_distinct(_item_windows(words))).alias("hashes"), short)
     items = items.where(F.size("hashes") > 0).distinct().withColumn("size", F.size("hashes"))
     largest = F.pow(F.lit(2.0), F.floor(F.log2(F.col("size"))) + 1) - 1
     length = F.least(F.floor(largest * F.lit(1 - containment) + 1e-9).cast("int") + 1, F.col("size"))
@@ -59,12 +70,13 @@ def find_items(documents: DataFrame, benchmark: DataFrame, containment: float =
     are found by joins on the hash, with the same result.
     """
     items = signatures(benchmark, containment)
-    held = items.agg(F.sum("size")).head()[0] or 0
+    held, lengths = items.agg(F.sum("size"), F.array_sort(F.collect_set("short"))).head()
     kind = "array<struct<item_id:bigint,matched:int,size:int>>"
     if not held:
         return documents.withColumn("leaks", F.array().cast(kind))
+    short = [n for n in lengths if n]
     if held > literal_hashes:
-        return _joined(documents, items, containment, text_column, kind)
+        return _joined(documents, items, containment, text_column, kind, short)
     rows = [r.asDict() for r in items.select("item_id", "size", "hashes", "signature").orderBy("item_id", "hashes").collect()]
     index: dict[int, list[int]] = {}
     for i, r in enumerate(rows):
@@ -73,7 +85,7 @@ def find_items(documents: DataFrame, benchmark: DataFrame, containment: float =
     hashes_of = F.expr(sql_literal([r["hashes"] for r in rows]))
     id_of, size_of = F.expr(sql_literal([r["item_id"] for r in rows])), F.expr(sql_literal([r["size"] for r in rows], long=False))
     by_hash, keys = F.expr(f"map_from_arrays({sql_literal(list(index))}, {sql_literal(list(index.values()), long=False)})"), F.expr(sql_literal(list(index)))
-    df = _shingled(documents, text_column).withColumn("_met", F.array_intersect("_hashes", keys))
+    df = _shingled(documents, text_column, short).withColumn("_met", F.array_intersect("_hashes", keys))
     places = F.array_distinct(F.flatten(F.transform("_met", lambda h: F.try_element_at(by_hash, h))))
 
     def verified(i: Column) -> Column:
@@ -84,10 +96,10 @@ def find_items(documents: DataFrame, benchmark: DataFrame, containment: float =
     return df.withColumn("leaks", pinned(leaks)).drop("_hashes", "_met")
 
 
-def _joined(documents: DataFrame, items: DataFrame, containment: float, text_column: str, kind: str) -> DataFrame:
+def _joined(documents: DataFrame, items: DataFrame, containment: float, text_column: str, kind: str, short: list[int]) -> DataFrame:
     """The join form: rows get an id, and only hashes travel."""
     rows = documents.withColumn("_id", F.xxhash64("doc_id", F.coalesce(F.col(text_column), F.lit(""))))
-    hashes = _shingled(rows.select("_id", text_column), text_column).select("_id", F.explode(F.array_distinct("_hashes")).alias("h")).distinct()
+    hashes = _shingled(rows.select("_id", text_column), text_column, short).select("_id", F.explode(F.array_distinct("_hashes")).alias("h")).distinct()
     items = items.withColumn("_item", F.xxhash64("item_id", "hashes"))
     met = hashes.join(items.select("_item", F.explode("signature").alias("h")), "h").select("_id", "_item").distinct()
     wanted = met.join(items.select("_item", "item_id", "size", F.explode("hashes").alias("h")), "_item")

@@ -95,6 +95,15 @@ def test_decontamination(spark, literal):
     assert decontaminate.find_items(d, b.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+@pytest.mark.parametrize("literal", [1 << 17, 0])
+def test_short_items_in_long_documents(spark, literal):
+    bench = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three four"), (4, "one two three four five"), (5, "")]
+    docs = [(0, "a b c d e f beta, GAMMA g h"), (1, "gamma beta one two three 4 four alpha"), (2, "0 one two three four 5 6"), (3, "beta gamma"), (4, "one two three four five"), (5, "beta"), (6, None)]
+    b, d = spark.createDataFrame(bench, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.find_items(d, b, literal_hashes=literal)
+    assert sorted((r.doc_id, x.item_id, x.matched, x.size) for r in found.collect() for x in r.leaks) == [(0, 2, 1, 1), (1, 1, 1, 1), (2, 3, 1, 1), (3, 2, 1, 1), (4, 3, 1, 1), (4, 4, 1, 1)]
+
+
 def test_urls(spark):
     urls = [None, "", "nothing", "HTTP://A.Example.NET/en/x?y#z", "http://b.example.com/de/1", "https://c.org/fr/", "x://net", "http://notnet/a", "http://sub.net/a", "ftp://h?q=1/2"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
