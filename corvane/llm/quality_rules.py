@@ -55,7 +55,8 @@ def text_features(df: DataFrame, text_column: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: whether a row fails; null counts as passing. ``work``: the units of work that deciding takes."""
+    """``rejects``: whether a row fails; null counts as passing. ``work``: the units of work that its
+    feature takes, in words (times the window for repetition) or characters."""
 
     name: str
     rejects: Callable[[], Column]
@@ -69,14 +70,14 @@ def _shouts() -> Column:
 
 #: base: fixed by contract. The rest are this operator's own, with thresholds far from what plain prose reaches.
 BASE_RULES = (
-    Rule("few_words", lambda: F.col("n_words") < 10, lambda: F.lit(1)),
-    Rule("repetition", lambda: 100 * F.col("n_repeat_words") > 20 * F.col("n_words"), lambda: F.lit(1)),
+    Rule("few_words", lambda: F.col("n_words") < 10, lambda: F.col("n_words")),
+    Rule("repetition", lambda: 100 * F.col("n_repeat_words") > 20 * F.col("n_words"), lambda: WINDOW * F.col("n_words")),
 )
 RULES = (
     *BASE_RULES,
-    Rule("symbols", lambda: 100 * F.col("n_symbols") > 30 * F.col("n_words"), lambda: F.lit(1)),
-    Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 25 * F.col("n_words")), lambda: F.lit(1)),
-    Rule("same_lines", lambda: 100 * F.col("n_dup_lines") > 60 * F.col("n_lines"), lambda: F.lit(1)),
+    Rule("symbols", lambda: 100 * F.col("n_symbols") > 30 * F.col("n_words"), lambda: F.length("_text")),
+    Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 25 * F.col("n_words")), lambda: F.col("word_chars")),
+    Rule("same_lines", lambda: 100 * F.col("n_dup_lines") > 60 * F.col("n_lines"), lambda: F.length("_text")),
     Rule("shouting", _shouts, lambda: 2 * F.length("_text")),
     Rule("giant_word", lambda: F.coalesce(F.array_max(F.transform("_words", lambda w: F.length(w))), F.lit(0)) > 500, lambda: F.size("_words")),
 )

@@ -80,6 +80,12 @@ def test_quality_rules(spark):
     assert quality_rules.quality_digest(df.limit(0)).count() == 0
 
 
+def test_cost_follows_the_work(spark):
+    df = spark.createDataFrame([(i, "some plain words " * n) for i, n in enumerate((10, 20))], "doc_id long, text string")
+    cost = {e.name: e.cost for e in quality_rules.estimate(df, one_in=1)}
+    assert cost == {"few_words": 45, "repetition": 225, "symbols": 255, "word_length": 210, "same_lines": 255, "shouting": 510, "giant_word": 45}
+
+
 @pytest.mark.parametrize("literal", [1 << 17, 0])
 def test_decontamination(spark, literal):
     words = [f"w{i}" for i in range(400)]
