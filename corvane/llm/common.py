@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches bounded by bytes for what is run inside, so that long texts don't fill an executor."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+    before = {k: spark.conf.get(k, None) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def salted_join(rows: DataFrame, small: DataFrame, key: str, weight: str, total: int, *spread: str) -> DataFrame:
+    """Inner join of ``rows`` with ``small`` (one row a key; ``weight`` says how many of the ``total`` rows the key has).
+
+    Keys with over a thousandth of all rows, fewer than a thousand, are broadcast as a list; their rows are dealt over 64
+    tasks by a hash of ``spread``, so no key's rows land in one task."""
+    heavy = F.col(weight) * 1000 > F.lit(total)
+    listed = small.where(heavy).select(key, F.lit(True).alias("_heavy"))
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*spread), F.lit(64)).cast("int")).otherwise(0)
+    left = rows.join(F.broadcast(listed), key, "left").withColumn("_salt", salt).drop("_heavy")
+    right = small.withColumn("_salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def sql_literal(value, long: bool = True) -> str:
     """SQL text of nested lists and string- or integer-keyed dicts of them. As an expression Spark folds it to one constant."""
     if isinstance(value, dict):

@@ -8,12 +8,14 @@ combinations with a second token of the longer prefix. All candidates that could
 1. count tokens, in 24-bit buckets by hash range; those above a threshold are the frequent class
 2. index the prefixes by token; in each bucket, propose the pairs with the bucket's first node (linear in the bucket)
 3. verify each node's best proposal, and find components
-4. in buckets that still hold several components, count the shared prefix tokens of pairs across components; where these
-   could reach the threshold, verify
+4. in buckets that still hold several components, compare the nodes outside the largest with all, in NumPy blocks of
+   bounded size: by size, by place (the first token that two sets share leaves only the tokens after it) and by a bit
+   sketch of the sets, all of which are upper bounds of the overlap; what they don't refute is verified
 5. buckets with too many such pairs: the same over combinations of two tokens
 
 Pairs inside one component aren't looked at again, so a group of copies costs its size, not its square; no pair of
-different components that share a bucket is left out. Blocks of packed arrays travel between tasks instead of rows.
+different components that share a bucket is left out. Blocks of packed arrays travel between tasks instead of rows, and
+only pairs that pass all bounds become rows. A token or node with many rows is dealt over tasks by a salt.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import WORD, salted_join, small_batches, text_or_empty, written
 from corvane.llm.components import merged, trees
 from corvane.llm.hashing import mix, texts_shingles
 
@@ -34,13 +36,17 @@ PERCENT = 80
 #: Tokens above this count may be frequent; the class holds the most frequent at most MAX_FREQUENT (which are broadcast).
 FREQUENT_FROM, MAX_FREQUENT = 16, 1 << 20
 #: A part holds about so many tokens; a task packs so many before it sends them.
-PART_TOKENS, FLUSH = 1 << 21, 1 << 20
+PART_TOKENS, FLUSH = 1 << 21, 1 << 19
+#: Sets that a task remembers, so as not to send them again; then it starts anew.
+SEEN = 1 << 16
 #: A bucket with more pairs across components than this for each member goes on to combinations.
 DIRECT = 48
 #: Bits of the filter of nodes whose sets are wanted; when too many nodes set too many bits, more sets are moved, no fewer.
 BLOOM_BITS = 1 << 25
+#: Bits of a set's sketch. A bucket is compared in blocks of so many entries a side; a chunk holds so many pairs at once.
+SKETCH_BITS, BLOCK, CHUNK = 512, 2048, 1 << 18
 
-_ENTRIES = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_ENTRIES = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("tokens", "nodes", "sizes", "places"))])
 
 
 def _needed(n: np.ndarray | int) -> np.ndarray | int:
@@ -53,24 +59,35 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], once: bool = True) -> Iterator[tuple[int, np.ndarray]]:
-    """Each non-empty set's node and tokens; with ``once`` a task skips sets that it has seen."""
+    """Each non-empty set's node and tokens; with ``once`` a task skips sets that it has seen lately."""
     seen: set[int] = set()
     for batch in batches:
         for _, tokens in texts_shingles(batch.column("text")):
             if len(tokens):
                 node = _node(tokens)
                 if not once or node not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(node)
                     yield node, tokens
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    bits = np.zeros(SKETCH_BITS, dtype=bool)
+    bits[(tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _map_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        sketch: list[bytes | None] = [None] * batch.num_rows
         for i, tokens in texts_shingles(batch.column("text")):
             size[i] = len(tokens)
-            node[i] = _node(tokens) if len(tokens) else 0
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(node)], ["doc_id", "n_shingles", "node"])
+            if len(tokens):
+                node[i], sketch[i] = _node(tokens), _sketch(tokens)
+        made = [batch.column("doc_id"), batch.column("key"), pa.array(size), pa.array(node), pa.array(sketch, pa.binary())]
+        yield pa.RecordBatch.from_arrays(made, ["doc_id", "key", "n_shingles", "node", "sketch"])
 
 
 # --- token counts ---------------------------------------------------------------------------------------------------
@@ -172,16 +189,17 @@ def _prefix(tokens: np.ndarray, ids: np.ndarray, counts: np.ndarray, bits: int,
     return np.concatenate([rare, rest[np.lexsort((rest, counts[at[often]]))][: p - len(rare)]])
 
 
-def _pack(held: list[tuple[np.ndarray, int, int]], bits: int) -> pa.RecordBatch:
-    """Entries (token, node, size) in blocks by part, sorted by token; a token's place in its part has 32 bits."""
-    lengths = [len(t) for t, _, _ in held]
-    ids = _ids(np.concatenate([t for t, _, _ in held]), bits, 32)
-    nodes = np.repeat(np.array([n for _, n, _ in held], dtype="<i8"), lengths)
-    sizes = np.repeat(np.array([s for _, _, s in held], dtype="<u4"), lengths)
+def _pack(held: list[tuple[np.ndarray, np.ndarray, int, int]], bits: int) -> pa.RecordBatch:
+    """Entries (token, node, size, place) in blocks by part, sorted by token; a token's id in its part has 32 bits."""
+    lengths = [len(t) for t, *_ in held]
+    ids = _ids(np.concatenate([t for t, *_ in held]), bits, 32)
+    places = np.concatenate([p for _, p, _, _ in held]).astype("<u4")
+    nodes = np.repeat(np.array([n for *_, n, _ in held], dtype="<i8"), lengths)
+    sizes = np.repeat(np.array([s for *_, s in held], dtype="<u4"), lengths)
     order = np.argsort(ids, kind="stable")
-    ids, nodes, sizes = ids[order], nodes[order], sizes[order]
+    ids, nodes, sizes, places = ids[order], nodes[order], sizes[order], places[order]
     bound = np.searchsorted(ids, np.arange((1 << bits) + 1, dtype=np.int64) << 32)
-    rows = [(p, ids[a:b].astype("<u4").tobytes(), nodes[a:b].tobytes(), sizes[a:b].tobytes()) for p, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+    rows = [(p, ids[a:b].astype("<u4").tobytes(), nodes[a:b].tobytes(), sizes[a:b].tobytes(), places[a:b].tobytes()) for p, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _ENTRIES.types, strict=True)], schema=_ENTRIES)
 
 
@@ -193,9 +211,13 @@ def _map_entries(bits: int, frequent, hot=None):
         ids, counts = frequent.value
         held, n = [], 0
         for node, tokens in _sets(batches):
-            sig = _prefix(tokens, ids, counts, bits) if hot is None else _combinations(tokens, ids, counts, bits, hot.value)
+            if hot is None:
+                sig = _prefix(tokens, ids, counts, bits)
+                places = np.arange(len(sig))
+            else:
+                sig, places = _combinations(tokens, ids, counts, bits, hot.value)
             if len(sig):
-                held.append((sig, node, len(tokens)))
+                held.append((sig, places, node, len(tokens)))
                 n += len(sig)
             if n >= FLUSH:
                 yield _pack(held, bits)
@@ -206,34 +228,38 @@ def _map_entries(bits: int, frequent, hot=None):
     return run
 
 
-def _combinations(tokens: np.ndarray, ids: np.ndarray, counts: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+def _combinations(tokens: np.ndarray, ids: np.ndarray, counts: np.ndarray, bits: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The combinations, and the later one of each one's two places in the prefix."""
     prefix = _prefix(tokens, ids, counts, bits, more=1)
     short = len(tokens) - _needed(len(tokens)) + 1
     is_hot = np.isin(_ids(prefix[:short], bits, 32), hot)
     if not is_hot.any() or len(prefix) < 2:
-        return tokens[:0]
-    own = prefix[:short][is_hot]
-    one, two = np.repeat(own, len(prefix)), np.tile(prefix, len(own))
-    one, two = np.minimum(one, two)[one != two], np.maximum(one, two)[one != two]
-    return np.unique(mix(mix(one) + two))
+        return tokens[:0], np.empty(0, np.int64)
+    own = np.flatnonzero(is_hot)
+    one, two = np.repeat(own, len(prefix)), np.tile(np.arange(len(prefix)), len(own))
+    one, two = one[one != two], two[one != two]
+    less, more = np.minimum(prefix[one], prefix[two]), np.maximum(prefix[one], prefix[two])
+    made, at = np.unique(mix(mix(less) + more), return_index=True)
+    return made, np.maximum(one, two)[at]
 
 
 def _reduce_entries(blocks: pa.Table) -> pa.Table:
     """Of one part: the entries of tokens with two nodes or more, and a proposal for each with its bucket's first node
     (of the nodes of about its size), as (kind, part, a, b, c) of packed arrays."""
-    ids, nodes, sizes = (np.concatenate([np.frombuffer(x, t) for x in blocks.column(c).to_pylist()]) for c, t in (("tokens", "<u4"), ("nodes", "<i8"), ("sizes", "<u4")))
+    columns = (("tokens", "<u4"), ("nodes", "<i8"), ("sizes", "<u4"), ("places", "<u4"))
+    ids, nodes, sizes, places = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in blocks.column(c)]) for c, t in columns)
     part = blocks.column("part")[0].as_py()
     order = np.lexsort((nodes, ids))
-    ids, nodes, sizes = ids[order], nodes[order], sizes[order]
+    ids, nodes, sizes, places = ids[order], nodes[order], sizes[order], places[order]
     new = np.ones(len(ids), dtype=bool)
     new[1:] = (ids[1:] != ids[:-1]) | (nodes[1:] != nodes[:-1])
-    ids, nodes, sizes = ids[new], nodes[new], sizes[new]
+    ids, nodes, sizes, places = ids[new], nodes[new], sizes[new], places[new]
     first = np.ones(len(ids), dtype=bool)
     first[1:] = ids[1:] != ids[:-1]
     run = np.cumsum(first) - 1
     many = np.bincount(run)[run] > 1
-    ids, nodes, sizes = ids[many].astype(np.int64) | (part << 32), nodes[many], sizes[many]
-    rows = [("entries", ids.tobytes(), nodes.tobytes(), sizes.tobytes(), None, None)] if len(ids) else []
+    ids, nodes, sizes, places = ids[many].astype(np.int64) | (part << 32), nodes[many], sizes[many], places[many]
+    rows = [("entries", ids.tobytes(), nodes.tobytes(), sizes.tobytes(), places.tobytes(), None)] if len(ids) else []
     a, b, na, nb = _proposals(ids, nodes, sizes)
     if len(a):
         order = np.lexsort((a, b))
@@ -276,7 +302,7 @@ def _unpack(df: DataFrame, kind: str, columns: dict[str, tuple[str, str]]) -> Da
 
 
 def _entries(index: DataFrame) -> DataFrame:
-    return _unpack(index, "entries", {"a": ("token", "<i8"), "b": ("node", "<i8"), "c": ("n", "<u4")})
+    return _unpack(index, "entries", {"a": ("token", "<i8"), "b": ("node", "<i8"), "c": ("n", "<u4"), "na": ("place", "<u4")})
 
 
 def _best(index: DataFrame) -> DataFrame:
@@ -299,10 +325,11 @@ def _bloom(nodes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     chunk = 1 << 15
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, dtype=bool)
+        own = np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
-            own[_bloom_places(batch.column(0).to_numpy(), bits).ravel()] = True
-        packed = np.packbits(own).reshape(-1, min(chunk, bits // 8))
+            at = _bloom_places(batch.column(0).to_numpy(), bits).ravel()
+            np.bitwise_or.at(own, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        packed = own.reshape(-1, min(chunk, bits // 8))
         used = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed[i].tobytes() for i in used], pa.binary())], ["chunk", "bits"])
 
@@ -313,18 +340,19 @@ def _bloom(nodes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     out = np.zeros((bits // 8 // min(chunk, bits // 8), min(chunk, bits // 8)), dtype=np.uint8)
     for r in nodes.mapInArrow(mark, "chunk int, bits binary").groupBy("chunk").applyInArrow(join, "chunk int, bits binary").collect():
         out[r[0]] = np.frombuffer(r[1], np.uint8)
-    return np.unpackbits(out.ravel()).astype(bool)
+    return out.ravel()
 
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """A table (node, tokens) with the sets of at least the documents with ``ids`` (doc_id)."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(_bloom(ids.select(F.coalesce("doc_id", F.lit(-1))))))
+    wanted = docs.sparkSession.sparkContext.broadcast(_bloom(ids.select(F.coalesce("doc_id", F.lit(-1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted.value).astype(bool)
+        bits = wanted.value
         for batch in batches:
             own = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            part = batch.filter(pa.array(bits[_bloom_places(own, len(bits))].all(axis=0)))
+            at = _bloom_places(own, len(bits) * 8)
+            part = batch.filter(pa.array((bits[at >> 3] & (128 >> (at & 7)).astype(np.uint8) > 0).all(axis=0)))
             for at in range(0, part.num_rows, 500):
                 held = list(_sets([part.slice(at, 500)]))
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([t.view(np.int64) for _, t in held], pa.list_(pa.int64()))], ["node", "tokens"])
@@ -332,14 +360,14 @@ def _wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(run, "node bigint, tokens array<bigint>"), "sets")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a < b) whose sets are similar, as a table. Only sets that a pair needs leave their tasks: of each node
     that of its document with the smallest id."""
     pairs = written(pairs.select("a", "b"), "pairs")
     if not pairs.head(1):
         return pairs
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _wanted_sets(docs, nodes.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    sets = _wanted_sets(docs, owners.join(needed, "node").select("doc_id"))
     one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -348,29 +376,82 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _across(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of buckets that hold several components, with these; and of each such bucket the size, the largest
-    component and the number of pairs across components."""
+    """Entries with their components; and of each bucket that holds several the size, the largest component, the number
+    of entries outside it, and the number of pairs across components."""
     labelled = entries.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
     buckets = by_root.groupBy("token").agg(
-        F.sum("m").alias("size"), F.max_by("root", F.struct("m", "root")).alias("largest"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across"), F.count(F.lit(1)).alias("roots")
+        F.sum("m").alias("size"), F.max_by("root", F.struct("m", "root")).alias("largest"), (F.sum("m") - F.max("m")).alias("minor"),
+        ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across"), F.count(F.lit(1)).alias("roots"),
     )
     return labelled, buckets.where("roots > 1")
 
 
-def _cross_pairs(labelled: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(a, b, c): pairs across components with the number of buckets that they share. One side is the nodes outside the
-    bucket's largest component, so a large component isn't paired with itself."""
-    inside = labelled.join(buckets.select("token", "largest"), "token")
-    rest = inside.where("root <> largest").select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    whole = inside.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), (F.col("root") == F.col("largest")).alias("major"))
-    fits = (F.col("rx") != F.col("ry")) & (F.col("major") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
-    joined = rest.join(whole, "token").where(fits)
-    swap = F.col("x") > F.col("y")
-    pairs = joined.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")
-    )
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+def _compare(shared: int):
+    """Of groups of blocks: the pairs across components whose overlap could reach the threshold, each once a group."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        column = lambda name: rows.column(name).to_numpy()
+        token, node, root, i, j = (column(c) for c in ("token", "node", "root", "i", "j"))
+        n, place = column("n").astype(np.int64), column("place").astype(np.int64)
+        minor, major = (rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("minor", "major"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+        order = np.lexsort((n, j, i, token))
+        new = np.ones(len(order), dtype=bool)
+        t, p, q = token[order], i[order], j[order]
+        new[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        run_of = np.empty(len(order), dtype=np.int64)
+        run_of[order] = np.cumsum(new) - 1
+        left, right = order[minor[order]], order[~minor[order]]
+        by = (run_of[right] << 32) + n[right]  # ascending
+        begin = np.searchsorted(by, (run_of[left] << 32) + _needed(n[left]))
+        count = np.searchsorted(by, (run_of[left] << 32) + n[left] * 100 // PERCENT, side="right") - begin
+        ends = np.cumsum(count)
+        found, held, at = [], 0, 0
+        while at < len(left):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+            c = count[at:stop]
+            first = np.repeat(begin[at:stop] - (np.cumsum(c) - c), c)
+            x, y = np.repeat(left[at:stop], c), right[first + np.arange(len(first))]
+            at = stop
+            keep = (root[x] != root[y]) & (major[y] | (node[x] < node[y]))
+            x, y = x[keep], y[keep]
+            need = -(-PERCENT * (n[x] + n[y]) // (100 + PERCENT))
+            keep = shared + np.minimum(n[x] - place[x], n[y] - place[y]) - 1 >= need
+            x, y, need = x[keep], y[keep], need[keep]
+            one, two = sketch[x], sketch[y]
+            most = np.minimum(n[x] - np.bitwise_count(one & ~two).sum(axis=1), n[y] - np.bitwise_count(two & ~one).sum(axis=1))
+            x, y = node[x[most >= need]], node[y[most >= need]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+            held += len(x)
+            if held > 2 * CHUNK:
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                held = 0
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return run
+
+
+def _cross_pairs(labelled: DataFrame, buckets: DataFrame, owners: DataFrame, shared: int) -> DataFrame:
+    """(a, b): pairs across components that could be similar if the bucket's ``shared`` tokens are the first that they
+    share. One side is the nodes outside the bucket's largest component, so a large component isn't paired with itself.
+
+    Both sides go in blocks of about BLOCK entries, each pair of blocks into one group.
+    """
+    total = buckets.agg(F.sum("size")).head()[0] or 0
+    inside = salted_join(labelled, buckets.select("token", "largest", "size", "minor"), "token", "size", total, "node").join(owners.select("node", "sketch"), "node")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    others = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    major = F.col("root") == F.col("largest")
+    as_whole = F.transform(others("minor"), lambda b: F.struct(F.lit(False).alias("minor"), b.alias("i"), own("size").alias("j")))
+    as_minor = F.transform(others("size"), lambda b: F.struct(F.lit(True).alias("minor"), own("minor").alias("i"), b.alias("j")))
+    sides = F.when(major, as_whole).otherwise(F.concat(as_whole, as_minor))
+    rows = inside.select("token", "node", "n", "place", "root", "sketch", major.alias("major"), F.explode(sides).alias("side")).select("*", "side.*").drop("side")
+    groups = max(16, int(total) >> 16)
+    grouped = rows.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)).alias("_group"))
+    return grouped.applyInArrow(_compare(shared), "a bigint, b bigint").distinct()
 
 
 def _could_reach(c) -> object:
@@ -381,26 +462,21 @@ def _could_reach(c) -> object:
     return c + F.greatest(need(F.col("na")), need(F.col("nb"))) - 1 >= least
 
 
-def similar_nodes(docs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
-    """(node, root) for nodes that are linked to a smaller one. ``nodes``: the table of each document's node."""
+def similar_nodes(docs: DataFrame, owners: DataFrame, bits: int) -> DataFrame:
+    """(node, root) for nodes that are linked to a smaller one. ``owners``: of each node a doc_id and the sketch."""
     spark = docs.sparkSession
     texts = docs.select("text")
     frequent = spark.sparkContext.broadcast(_frequent(texts, bits))
-    layout = "part int, tokens binary, nodes binary, sizes binary"
+    layout = "part int, tokens binary, nodes binary, sizes binary, places binary"
     index = written(texts.mapInArrow(_map_entries(bits, frequent), layout).groupBy("part").applyInArrow(_reduce_entries, _INDEX), "index")
     entries = _entries(index)
     # What a first proposal misses by counting too few buckets, the next step finds.
-    labels = trees(_verified(docs, nodes, _best(index).where(_could_reach(F.col("c")))))
+    labels = trees(_verified(docs, owners, _best(index).where(_could_reach(F.col("c")))))
 
     labelled, buckets = _across(entries, labels)
     buckets = written(buckets, "buckets")
     is_hot = F.col("across") > DIRECT * F.col("size")
-    in_hot = entries.join(buckets.where(is_hot).select("token"), "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("h"))
-    pairs = _cross_pairs(labelled, buckets.where(~is_hot))
-    for side in ("a", "b"):
-        pairs = pairs.join(in_hot.select(F.col("node").alias(side), F.col("h").alias(f"h{side}")), side, "left")
-    hidden = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    labels = merged(labels, _verified(docs, nodes, pairs.where(_could_reach(F.col("c") + hidden))))
+    labels = merged(labels, _verified(docs, owners, _cross_pairs(labelled, buckets.where(~is_hot), owners, 1)))
 
     hot = _across(entries.join(buckets.where(is_hot).select("token"), "token", "left_semi"), labels)[1].select("token")
     tokens = np.array([r[0] for r in hot.limit(MAX_FREQUENT + 1).collect()], dtype=np.int64)
@@ -409,31 +485,54 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
     if len(tokens):
         combined = _map_entries(bits, frequent, spark.sparkContext.broadcast(np.sort(tokens)))
         index = written(texts.mapInArrow(combined, layout).groupBy("part").applyInArrow(_reduce_entries, _INDEX), "index")
-        labels = merged(labels, _verified(docs, nodes, _best(index)))
-        labels = merged(labels, _verified(docs, nodes, _cross_pairs(*_across(_entries(index), labels))))
+        labels = merged(labels, _verified(docs, owners, _best(index)))
+        labelled, buckets = _across(_entries(index), labels)
+        labels = merged(labels, _verified(docs, owners, _cross_pairs(labelled, written(buckets, "buckets"), owners, 2)))
     return labels
 
 
+def _placed(documents: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text), n_shingles, root (one for each component) and component_id of each row; root is null
+    where there are no shingles."""
+    docs = documents.select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        keyed = docs.withColumn("key", F.xxhash64(text_or_empty()))
+        nodes = written(keyed.mapInArrow(_map_nodes, "doc_id bigint, key bigint, n_shingles bigint, node bigint, sketch binary"), "nodes")
+        narrow = nodes.select("doc_id", "key", "n_shingles", "node")
+        total, rows = (x or 0 for x in nodes.where("n_shingles > 0").agg(F.sum("n_shingles"), F.count(F.lit(1))).head())
+        alone = narrow.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+        if not total:
+            return alone
+        bits = max(4, int(np.ceil(np.log2(total / PART_TOKENS))) if total > PART_TOKENS else 0)
+        owned = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+        owners = written(owned, "owners")
+        labels = similar_nodes(docs, owners, bits)
+        rooted = owners.select("node", "doc_id", "copies").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+        component = written(salted_join(rooted.select("node", "copies", "root"), least, "root", "members", rows, "node"), "components")
+    joined = salted_join(narrow.where("n_shingles > 0"), component.select("node", "copies", "root", "component_id"), "node", "copies", rows, "doc_id", "key")
+    return joined.select("doc_id", "key", "n_shingles", "root", "component_id").unionByName(alone)
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of each row.
 
     Null and empty texts have no shingles and are linked with nothing. Repeated rows have one set and so one component.
-    Without rows there are none. Sets are told apart by 64-bit fingerprints and counted by 64-bit shingle hashes.
+    A null doc_id counts as larger than all others. Without rows there are none. Sets are told apart by 64-bit
+    fingerprints and counted by 64-bit shingle hashes.
     """
-    docs = documents.select("doc_id", "text")
-    nodes = written(docs.mapInArrow(_map_nodes, "doc_id bigint, n_shingles bigint, node bigint"), "nodes")
-    total = nodes.agg(F.sum("n_shingles")).head()[0] or 0
-    alone = nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    if not total:
-        return alone
-    bits = max(4, int(np.ceil(np.log2(total / PART_TOKENS))) if total > PART_TOKENS else 0)
-    labels = similar_nodes(docs, nodes, bits)
-    rooted = nodes.where("n_shingles > 0").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n_shingles", "root")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", "n_shingles", "component_id").union(alone)
+    return _placed(documents).select("doc_id", "n_shingles", "component_id")
 
 
 def first_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stand first in their component (by doc_id, one row of each doc_id), with their own columns."""
-    found = jaccard_components(documents).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_semi").select(*documents.columns)
+    """One row of ``documents`` for each component, with its own columns: a row of the smallest doc_id.
+
+    Of rows that share that id, repeated rows and different texts alike, one stays in each component. Rows without
+    shingles are linked with nothing and all stay. Of a component whose ids are all null one row stays.
+    """
+    own = documents.select(F.col("doc_id").alias("_id"), F.xxhash64(text_or_empty()).alias("_key"), text_or_empty().rlike(WORD).alias("_worded"), F.struct(*[documents[c] for c in documents.columns]).alias("_row"))
+    texts = _placed(documents).where("root is not null and component_id <=> doc_id").groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
+    first = written(texts.groupBy("root").agg(F.min_by(F.struct("doc_id", "key", "times"), "key").alias("x")).select("x.*"), "first")
+    found = own.where("_worded").join(first, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")))
+    repeated = found.where("times > 1").dropDuplicates(["_id", "_key"])
+    return found.where("times = 1").select("_row.*").union(repeated.select("_row.*")).union(own.where("not _worded").select("_row.*"))

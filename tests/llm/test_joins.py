@@ -68,6 +68,38 @@ def test_empty_and_extra_columns(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def near_copies(seed, copies, edits):
+    """Copies of one text, each with words of its own at some places: similar pair by pair only where places agree."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(50)]
+    rows = []
+    for i in range(copies):
+        own = list(base)
+        for at in rng.sample(range(50), edits):
+            own[at] = f"e{seed}x{i}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("direct", [48, 0])
+def test_near_copies_that_are_not_similar_pair_by_pair(spark, monkeypatch, direct):
+    monkeypatch.setattr(jaccard_join, "DIRECT", direct)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 500)
+    rows = near_copies(1, 150, 2) + [(1000 + d, t) for d, t in near_copies(2, 60, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_components(df).collect()) == brute(rows)
+
+
+def test_first_of_each_keeps_one_row_a_component(spark):
+    far = "p q r s t u v"
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "A b c d e f", "z"), (1, far, "u"), (2, far, "w"), (None, "g h i j k l", "n"), (None, "g h i j k l", "m"), (None, far, "k"), (5, " ", "e"), (5, None, "f")]
+    kept = jaccard_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "g h i j k l"), (1, "a b c d e f"), (1, far), (5, ""), (5, " ")]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
+    assert len(found) == len(rows) and sum(r.component_id is None for r in found) == 2
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 9), (4, 5), (6, 7), (5, 7)]
     found = components(spark.createDataFrame(edges, "a long, b long"))
