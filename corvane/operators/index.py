@@ -50,21 +50,24 @@ def bm25_search(index: Bm25, queries: DataFrame, k: int) -> DataFrame:
     a blank query gets none. Terms count as often as the query has them. Scores are rounded to nine places, so that the
     order of summation, which differs from run to run, doesn't decide between equal ones.
 
-    Only chunks that share a term are scored by a join; of the others each query takes the first ``k`` keys, for which a
-    top-k of the keys is enough.
+    Only chunks that share a term are scored by a join. A query with fewer than ``k`` positive scores also takes the first
+    ``k`` keys that it has no score for: where it scores at most ``k``, they are among the first 2k keys; where it scores
+    more, none above zero (a corpus with negative idf), all keys are ranked for it.
     """
     queries = queries.select("query_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).where(text.strip(F.col("text")) != "")
     if k <= 0:
         return index.lengths.limit(0).select(F.lit(0).alias("query_id"), "key", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     wanted = queries.select("query_id", F.explode(text.terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    met = index.postings.join(index.idf, "term").join(wanted, "term").join(index.lengths, "key").join(F.broadcast(index.totals))
+    met = index.postings.join(wanted.join(index.idf, "term"), "term").join(index.lengths, "key").join(F.broadcast(index.totals))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average"))
     scored = met.groupBy("query_id", "key").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
     high = ranked(scored, k, [F.desc("score"), F.asc("key")])
-    # Zero rows: a query's k best keys overall are its scored ones and, below them or before negative ones, unscored keys.
-    first = index.lengths.select("key").orderBy("key").limit(k * 2)
-    zeros = queries.select("query_id").join(F.broadcast(first)).join(scored.select("query_id", "key"), ["query_id", "key"], "left_anti")
-    zeros = zeros.withColumn("score", F.lit(0.0))
+    counts = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("met"), F.count_if(F.col("score") > 0).alias("above"))
+    short = queries.select("query_id").join(counts, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", F.coalesce("met", F.lit(0)).alias("met"))
+    keys, seen = index.lengths.select("key"), scored.select("query_id", "key")
+    near = short.where(F.col("met") <= k).join(F.broadcast(keys.orderBy("key").limit(k * 2))).join(seen, ["query_id", "key"], "left_anti")
+    far = short.where(F.col("met") > k).join(keys).join(seen, ["query_id", "key"], "left_anti")
+    zeros = near.select("query_id", "key").union(ranked(far.select("query_id", "key"), k, [F.asc("key")]).select("query_id", "key")).withColumn("score", F.lit(0.0))
     both = high.select("query_id", "key", "score").unionByName(zeros)
     return ranked(both, k, [F.desc("score"), F.asc("key")])
 

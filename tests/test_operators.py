@@ -201,3 +201,13 @@ def test_rereview_and_gate(spark):
     assert (got.n, got.least_gap_days, got.too_soon, got.exact_answer_agreement, got.gold_chunk_set_agreement) == (2, 2, 1, 0.5, 0.5)
     gate = review.release_gate(spark, {"x": True}, {}, {}, {}, {}, {}, "", 0)
     assert gate.where("passed").count() == 1
+
+
+def test_bm25_zero_rows_before_negative_scores(spark):
+    rows = [(i, "aa bb") for i in range(40)] + [(40 + i, "") for i in range(20)]
+    built = index.bm25_build(spark.createDataFrame(rows, "id long, text string"))
+    asked = spark.createDataFrame([(1, "aa bb"), (2, "zz"), (3, "zz aa")], "query_id long, text string")
+    found = index.bm25_search(built, asked, 5).collect()
+    keys = {q: [r.key for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2, 3)}
+    assert keys == {1: [40, 41, 42, 43, 44], 2: [0, 1, 2, 3, 4], 3: [40, 41, 42, 43, 44]}
+    assert all(r.score == 0 for r in found)
