@@ -1,8 +1,9 @@
 """Shards by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Groups (equal texts) are hashed to a bounded number of bundles; a group that outweighs a fair bundle is dealt over many
-bundles, so no hot group lands in one task or one shard. The bundles, a bounded table, are packed on the driver: the
-heaviest first, each where the dot product of its sizes with the shards' residual capacities is highest.
+Groups (equal texts) stay whole. Light ones are hashed to a bounded number of bundles; one that outweighs half a fair bundle
+is an item of its own; only one that outweighs a fair shard is dealt over the bundles by row. Bundles and heavy groups, a
+bounded table, are packed on the driver: the heaviest first, each where the dot product of its sizes with the shards'
+residual capacities is highest.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from corvane.llm.common import WORD, text_or_empty, written
 
 #: Bytes that each row takes besides its text.
 ROW_BYTES = 8
-#: Bundles per shard: a bound on what the driver packs (and on how finely hot groups are dealt).
+#: Bundles per shard: a bound on what the driver packs (and on how finely split groups are dealt).
 BUNDLES_PER_SHARD = 512
+#: Slots inside an item are numbered in so many parts, so a heavy group isn't sorted in one task.
+PARTS = 64
 
 
 def sized(df: DataFrame, text_column: str = "text") -> DataFrame:
@@ -54,29 +57,36 @@ def pack(sizes: np.ndarray, shards: int, weights: Sequence[float] = (1.0, 0.25,
 def assign(df: DataFrame, shards: int, chunk: Column | None = None, order_by: Sequence[Column] = (), key: str = "doc_id") -> DataFrame:
     """Adds ``shard`` and ``slot`` (gapless from 0 in each shard).
 
-    ``df``: a table (it is read several times) with the columns of ``sized``. Groups stay in one shard unless they are
-    hot. Slots follow ``chunk`` (by default the bundles; a column with many values of bounded row counts), then
-    ``order_by``, then the key. Empty input gives no rows; repeated rows get slots of their own.
+    ``df``: a table (it is read several times) with the columns of ``sized``. A group stays in one shard unless it
+    outweighs a fair shard. Slots follow ``chunk`` (by default parts of the items; a column with many values of bounded row
+    counts), then ``order_by``, then the key. Empty input gives no rows; repeated rows get slots of their own. Columns
+    ``shard`` and ``slot`` of the input are replaced.
     """
     bundles = shards * BUNDLES_PER_SHARD
     total = df.agg(F.sum("size")).head()[0] or 0
     heavy = F.col("group_size") * 2 * bundles > F.lit(float(total))
     # At most 2 * bundles groups can weigh more than half a fair bundle, so this broadcast is bounded.
-    hot = df.groupBy("group").agg(F.sum("size").alias("group_size")).where(heavy).select("group", F.lit(True).alias("_hot"))
-    dealt = df.join(F.broadcast(hot), "group", "left")
-    salt = F.when(F.col("_hot"), F.xxhash64(F.col("group"), F.col(key))).otherwise(F.xxhash64(F.col("group"), F.lit(0)))
-    dealt = dealt.withColumn("_bundle", F.pmod(salt, F.lit(bundles)).cast("int")).drop("_hot")
-    sums = dealt.groupBy("_bundle").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    sums = sums.toPandas().sort_values("_bundle", ignore_index=True)
+    split = F.col("group_size") * shards > F.lit(float(total))
+    hot = df.groupBy("group").agg(F.sum("size").alias("group_size")).where(heavy).select("group", split.alias("_split"))
+    dealt = df.drop("shard", "slot").join(F.broadcast(hot), "group", "left")
+    salt = F.when(F.col("_split"), F.xxhash64(F.col("group"), F.col(key))).otherwise(F.xxhash64(F.col("group"), F.lit(0)))
+    whole = F.coalesce(~F.col("_split"), F.lit(False))
+    dealt = dealt.withColumn("_bundle", F.when(whole, -1).otherwise(F.pmod(salt, F.lit(bundles))).cast("int"))
+    dealt = dealt.withColumn("_own", F.when(whole, F.col("group")).otherwise(0).cast("long")).drop("_split")
+    item = ["_bundle", "_own"]
+    sums = dealt.groupBy(*item).agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    sums = sums.toPandas().sort_values(item, ignore_index=True)
     shard = pack(sums[["size", "tokens", "rows"]].to_numpy(dtype=float), shards)
-    spark, schema = df.sparkSession, "_bundle int, shard int"
-    place = spark.createDataFrame(pd.DataFrame({"_bundle": sums["_bundle"].astype("int32"), "shard": shard.astype("int32")}), schema) if len(sums) else spark.createDataFrame([], schema)
-    placed = dealt.join(F.broadcast(place), "_bundle").withColumn("_chunk", F.col("_bundle") if chunk is None else chunk)
+    spark, schema = df.sparkSession, "_bundle int, _own long, shard int"
+    packed = pd.DataFrame({"_bundle": sums["_bundle"].astype("int32"), "_own": sums["_own"].astype("int64"), "shard": shard.astype("int32")})
+    place = spark.createDataFrame(packed, schema) if len(sums) else spark.createDataFrame([], schema)
+    part = F.pmod(F.xxhash64("_bundle", "_own", F.when(F.col("_bundle") < 0, F.col(key))), F.lit(PARTS * BUNDLES_PER_SHARD))
+    placed = dealt.join(F.broadcast(place), item).withColumn("_chunk", part if chunk is None else chunk)
     before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("shard", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy(*order_by, key, "text_crc32")) - 1
-    return placed.join(offsets, ["shard", "_chunk"]).withColumn("slot", F.col("_before") + inside).drop("_bundle", "_chunk", "_before")
+    return placed.join(offsets, ["shard", "_chunk"]).withColumn("slot", F.col("_before") + inside).drop("_bundle", "_own", "_chunk", "_before")
 
 
 def shard_digest(documents: DataFrame, shards: int = 24) -> DataFrame:

@@ -164,3 +164,18 @@ def test_pipeline(spark, tmp_path):
         assert own == list(range(len(own)))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_groups_lighter_than_a_shard_stay_whole(spark):
+    texts = ["hot text " * 40] * 300 + [f"group {i % 40} " * 20 for i in range(400)] + [f"single {i} text" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_digest(df, 4).collect()
+    fair = sum(r["size"] for r in rows) / 4
+    groups, loads, slots = {}, [0] * 4, {}
+    for r in rows:
+        groups.setdefault(texts[r.doc_id], []).append(r)
+        loads[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(len({r.shard for r in g}) == 1 for g in groups.values() if sum(r["size"] for r in g) <= fair)
+    assert len({r.shard for r in groups[texts[0]]}) > 1 and max(loads) < 1.05 * fair
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
