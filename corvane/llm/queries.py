@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, jaccard_join, license_scan, mixing, oracle, pii, quality_model, quality_rules, sharding, token_counts, url_filter
 from corvane.llm.common import table
@@ -47,7 +48,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_digest(table(spark, sf_dir, "documents")).drop("spans")
+    """Spans as label:first word:last word:errors, comma-joined in the order found."""
+    one = lambda s: F.concat_ws(":", s["label"], s["first_word"], s["last_word"], s["errors"])
+    return license_scan.license_digest(table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(F.transform("spans", one), ","))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
