@@ -11,7 +11,8 @@ combinations with a second token of the longer prefix. All candidates that could
 4. in buckets that still hold several components, compare the nodes outside the largest with all, in NumPy blocks of
    bounded size: by size, by place (the first token that two sets share leaves only the tokens after it) and by a bit
    sketch of the sets, all of which are upper bounds of the overlap; what they don't refute is verified
-5. buckets with too many such pairs: the same over combinations of two tokens
+5. buckets with too many such pairs: the same over combinations of two tokens; first only with each node's most
+   promising pair, then, when these have joined most components, with all that are left
 
 Pairs inside one component aren't looked at again, so a group of copies costs its size, not its square; no pair of
 different components that share a bucket is left out. Blocks of packed arrays travel between tasks instead of rows, and
@@ -43,8 +44,10 @@ SEEN = 1 << 16
 DIRECT = 48
 #: Bits of the filter of nodes whose sets are wanted; when too many nodes set too many bits, more sets are moved, no fewer.
 BLOOM_BITS = 1 << 25
+#: Scores are similarities in this unit.
+SCORE = 1 << 20
 #: Bits of a set's sketch. A bucket is compared in blocks of so many entries a side; a chunk holds so many pairs at once.
-SKETCH_BITS, BLOCK, CHUNK = 512, 2048, 1 << 18
+SKETCH_BITS, BLOCK, CHUNK = 2048, 2048, 1 << 16
 
 _ENTRIES = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("tokens", "nodes", "sizes", "places"))])
 
@@ -387,8 +390,15 @@ def _across(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame
     return labelled, buckets.where("roots > 1")
 
 
-def _compare(shared: int):
-    """Of groups of blocks: the pairs across components whose overlap could reach the threshold, each once a group."""
+def _compare(shared: int, best: bool = False):
+    """Of groups of blocks: the pairs across components whose overlap could reach the threshold, each once a group. With
+    ``best``, for each node outside its bucket's largest component one of them, as (a, b, score): the most promising."""
+
+    def fewest(pairs: np.ndarray) -> np.ndarray:
+        if not best:
+            return np.unique(pairs, axis=1)
+        pairs = pairs[:, np.lexsort((pairs[1], -pairs[2], pairs[0]))]
+        return pairs[:, np.diff(pairs[0], prepend=pairs[0, 0] - 1 if pairs.size else 0) != 0]
 
     def run(rows: pa.Table) -> pa.Table:
         column = lambda name: rows.column(name).to_numpy()
@@ -414,30 +424,36 @@ def _compare(shared: int):
             first = np.repeat(begin[at:stop] - (np.cumsum(c) - c), c)
             x, y = np.repeat(left[at:stop], c), right[first + np.arange(len(first))]
             at = stop
-            keep = (root[x] != root[y]) & (major[y] | (node[x] < node[y]))
+            keep = root[x] != root[y]
+            if not best:
+                keep &= major[y] | (node[x] < node[y])
             x, y = x[keep], y[keep]
             need = -(-PERCENT * (n[x] + n[y]) // (100 + PERCENT))
             keep = shared + np.minimum(n[x] - place[x], n[y] - place[y]) - 1 >= need
             x, y, need = x[keep], y[keep], need[keep]
             one, two = sketch[x], sketch[y]
-            most = np.minimum(n[x] - np.bitwise_count(one & ~two).sum(axis=1), n[y] - np.bitwise_count(two & ~one).sum(axis=1))
-            x, y = node[x[most >= need]], node[y[most >= need]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+            most = np.minimum(n[x] - np.bitwise_count(one & ~two).sum(axis=1, dtype=np.int64), n[y] - np.bitwise_count(two & ~one).sum(axis=1, dtype=np.int64))
+            keep = most >= need
+            x, y, most = x[keep], y[keep], most[keep]
+            score = most * SCORE // (n[x] + n[y] - most)  # the similarity that the bound allows
+            x, y = node[x], node[y]
+            found.append(np.stack([x, y, score] if best else [np.minimum(x, y), np.maximum(x, y)]))
             held += len(x)
             if held > 2 * CHUNK:
-                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-                held = 0
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+                found = [fewest(np.concatenate(found, axis=1))]
+                held = found[0].shape[1]
+        pairs = fewest(np.concatenate(found, axis=1)) if found else np.empty((2 + best, 0), np.int64)
+        return pa.table(dict(zip(("a", "b", "score"), pairs, strict=False)))
 
     return run
 
 
-def _cross_pairs(labelled: DataFrame, buckets: DataFrame, owners: DataFrame, shared: int) -> DataFrame:
+def _cross_pairs(labelled: DataFrame, buckets: DataFrame, owners: DataFrame, shared: int, best: bool = False) -> DataFrame:
     """(a, b): pairs across components that could be similar if the bucket's ``shared`` tokens are the first that they
     share. One side is the nodes outside the bucket's largest component, so a large component isn't paired with itself.
 
-    Both sides go in blocks of about BLOCK entries, each pair of blocks into one group.
+    Both sides go in blocks of about BLOCK entries, each pair of blocks into one group. With ``best`` each node outside
+    gives only its most promising pair, so there are no more pairs than nodes.
     """
     total = buckets.agg(F.sum("size")).head()[0] or 0
     inside = salted_join(labelled, buckets.select("token", "largest", "size", "minor"), "token", "size", total, "node").join(owners.select("node", "sketch"), "node")
@@ -451,7 +467,11 @@ def _cross_pairs(labelled: DataFrame, buckets: DataFrame, owners: DataFrame, sha
     rows = inside.select("token", "node", "n", "place", "root", "sketch", major.alias("major"), F.explode(sides).alias("side")).select("*", "side.*").drop("side")
     groups = max(16, int(total) >> 16)
     grouped = rows.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)).alias("_group"))
-    return grouped.applyInArrow(_compare(shared), "a bigint, b bigint").distinct()
+    if not best:
+        return grouped.applyInArrow(_compare(shared), "a bigint, b bigint").distinct()
+    found = grouped.applyInArrow(_compare(shared, best), "a bigint, b bigint, score bigint")
+    top = found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
+    return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _could_reach(c) -> object:
@@ -486,8 +506,9 @@ def similar_nodes(docs: DataFrame, owners: DataFrame, bits: int) -> DataFrame:
         combined = _map_entries(bits, frequent, spark.sparkContext.broadcast(np.sort(tokens)))
         index = written(texts.mapInArrow(combined, layout).groupBy("part").applyInArrow(_reduce_entries, _INDEX), "index")
         labels = merged(labels, _verified(docs, owners, _best(index)))
-        labelled, buckets = _across(_entries(index), labels)
-        labels = merged(labels, _verified(docs, owners, _cross_pairs(labelled, written(buckets, "buckets"), owners, 2)))
+        for best in (True, False):  # the best pairs join most components, so few pairs across components are left
+            labelled, buckets = _across(_entries(index), labels)
+            labels = merged(labels, _verified(docs, owners, _cross_pairs(labelled, written(buckets, "buckets"), owners, 2, best)))
     return labels
 
 
