@@ -441,7 +441,7 @@ def _compare(shared: int, best: bool = False):
             held += len(x)
             if held > 2 * CHUNK:
                 found = [fewest(np.concatenate(found, axis=1))]
-                held = found[0].shape[1]
+                held = 0
         pairs = fewest(np.concatenate(found, axis=1)) if found else np.empty((2 + best, 0), np.int64)
         return pa.table(dict(zip(("a", "b", "score"), pairs, strict=False)))
 
