@@ -8,6 +8,7 @@ Texts without two seeds (nearly all) cost a few substring searches.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,25 +71,32 @@ def _places(text: bytes, part: bytes) -> Iterator[int]:
 
 
 def find_notice(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
-    """(start, end, errors) in ``text`` (words joined by blanks) of each match; candidate windows that touch are one.
-    The best match is looked for only where there is one."""
+    """(start, end, errors) in ``text`` (words joined by blanks) of each match, by start; of matches that overlap, the one
+    with fewer errors, then the first. Begins that lie close together share a window, which is too short for two matches,
+    so a text of many notices costs its length. The best match is looked for only where there is one."""
     hits = [(at - offset, i) for i, (offset, seed) in enumerate(notice.seeds) if seed in text for at in _places(text, seed)]
-    k, joined, last = notice.errors, [], {}
+    k, windows, last = notice.errors, [], {}
     for begin, i in sorted(hits):  # where the notice would begin by each seed
         near = [b for j, b in last.items() if j != i and begin - b <= k]
         last[i] = begin
-        if near:
-            a, b = max(0, min(near) - k), min(len(text), begin + len(notice.text) + k)
-            if joined and a <= joined[-1][1]:
-                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
-            else:
-                joined.append((a, b))
+        if near and windows and begin - windows[-1][0] <= 2 * k:
+            windows[-1][1] = begin
+        elif near:
+            windows.append([min(near), begin])
     found = []
-    for a, b in joined:
+    for low, high in windows:
+        a = max(0, low - k)
+        window = text[a : high + len(notice.text) + k]
         # Of 3 k pieces, k errors leave 2 k: cheap to count, and few windows go on to the matcher.
-        if sum(c in text[a:b] for c in notice.crumbs) >= len(notice.crumbs) - k and notice.pattern.search(text[a:b]):
-            found += [(a + m.start(), a + m.end(), sum(m.fuzzy_counts)) for m in notice.best.finditer(text[a:b])]
-    return found
+        if sum(c in window for c in notice.crumbs) >= len(notice.crumbs) - k and notice.pattern.search(window):
+            m = notice.best.search(window)
+            found.append((a + m.start(), a + m.end(), sum(m.fuzzy_counts)))
+    kept: list[tuple[int, int, int]] = []
+    for span in sorted(found, key=lambda s: (s[2], s[0])):
+        at = bisect(kept, span)
+        if (not at or kept[at - 1][1] <= span[0]) and (at == len(kept) or span[1] <= kept[at][0]):
+            kept.insert(at, span)
+    return kept
 
 
 def scan(text: str | None, notices: list[Notice]) -> tuple:

@@ -179,3 +179,9 @@ def test_groups_lighter_than_a_shard_stay_whole(spark):
     assert all(len({r.shard for r in g}) == 1 for g in groups.values() if sum(r["size"] for r in g) <= fair)
     assert len({r.shard for r in groups[texts[0]]}) > 1 and max(loads) < 1.05 * fair
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_notices_back_to_back_are_all_found():
+    notice = license_scan.compiled()[0]
+    text = b"releasd under the mit license released under the mit license"
+    assert license_scan.find_notice(text, notice) == [(0, 29, 1), (30, 60, 0)]
