@@ -43,11 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: what follows doesn't compute it again, and lost executors lose none of it."""
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what follows doesn't compute it again, and lost executors lose none of it.
+
+    With ``by`` the rows are first dealt by these columns into files of the size that Spark advises, however many tasks
+    made them. A file costs its executor several processes where Hadoop sets permissions by calling chmod."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance", *by) if by else df).write.parquet(path)
     gc.collect()
     spark._jvm.System.gc()  # Spark's cleaner then removes the shuffle files of the steps that nothing refers to
     return spark.read.schema(df.schema).parquet(path)

@@ -160,7 +160,7 @@ def _reduce_counts(blocks: pa.Table) -> pa.Table:
 def _frequent(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and counts of the frequent class. At most MAX_FREQUENT come to the driver: the level they start from rises as needed."""
     blocks = docs.mapInArrow(_map_counts(bits), "part int, steps binary, more binary, extra binary")
-    levels = written(blocks.groupBy("part").applyInArrow(_reduce_counts, "level int, n bigint, ids binary, counts binary"), "frequent")
+    levels = written(blocks.groupBy("part").applyInArrow(_reduce_counts, "level int, n bigint, ids binary, counts binary"), "frequent", "level", "n")
     held, least = 0, 64
     for level, n in sorted(((r[0], r[1]) for r in levels.groupBy("level").agg(F.sum("n")).collect()), reverse=True):
         if held + n > MAX_FREQUENT:
@@ -360,7 +360,7 @@ def _wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 held = list(_sets([part.slice(at, 500)]))
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([t.view(np.int64) for _, t in held], pa.list_(pa.int64()))], ["node", "tokens"])
 
-    return written(docs.mapInArrow(run, "node bigint, tokens array<bigint>"), "sets")
+    return written(docs.mapInArrow(run, "node bigint, tokens array<bigint>"), "sets", "node")
 
 
 def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame
     two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     similar = 100 * both >= PERCENT * (F.size("x") + F.size("y") - both)
-    return written(pairs.join(two, "b").join(one, "a").where(similar).select("a", "b").distinct(), "links")
+    return written(pairs.join(two, "b").join(one, "a").where(similar).select("a", "b").distinct(), "links", "a", "b")
 
 
 def _across(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

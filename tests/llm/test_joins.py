@@ -100,6 +100,14 @@ def test_first_of_each_keeps_one_row_a_component(spark):
     assert len(found) == len(rows) and sum(r.component_id is None for r in found) == 2
 
 
+def test_few_files_for_few_sets(spark):
+    rows = [(i, f"a b c d e f{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20, "doc_id")
+    sets = jaccard_join._wanted_sets(docs, docs.select("doc_id"))
+    assert len(sets.inputFiles()) == 1
+    assert sorted((r.node, tuple(t % 2**64 for t in r.tokens)) for r in sets.collect()) == sorted((jaccard_join._node(x), tuple(x.tolist())) for _, x in hashing.texts_shingles(pa.array([t for _, t in rows])))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 9), (4, 5), (6, 7), (5, 7)]
     found = components(spark.createDataFrame(edges, "a long, b long"))
