@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import ids, text
 from corvane.operators import chunk, dedupe, experiments, generate, index, ingest, metrics, retrieve
 from corvane.sources import files
+from corvane.sources.shared import materialised
 from corvane.streaming import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,10 +62,14 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
 
 def _overlap(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """The second list for fusion: documents by the number of distinct terms that they share with the question."""
-    of = lambda df, key, name: df.select(F.col(key).alias(name), F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term"))
-    shared = of(_documents(spark, sf_dir), "doc_id", "key").join(of(_table(spark, sf_dir, "benchmark"), "item_id", "query_id"), "term")
-    scored = shared.groupBy("query_id", "key").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return index.ranked(scored, k, [F.desc("score"), F.asc("key")])
+    texts = _documents(spark, sf_dir).select(F.col("doc_id").alias("key"), "text")
+    return index.overlap_search(texts.where(F.col("text").isNotNull()), _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
+
+
+def _with_text(spark: SparkSession, sf_dir: str, hits: DataFrame, column: str = "text") -> DataFrame:
+    """Hits of the stated questions, few, with a column of their documents, which stay where they are."""
+    hits = materialised(hits, "hits")
+    return _documents(spark, sf_dir).select(F.col("doc_id").alias("key"), column).join(F.broadcast(hits), "key")
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,14 +155,14 @@ def score_floor(spark, sf_dir):
 
 @query(f"WITH {_BM25} SELECT query_id, key, rank, source FROM bm25 JOIN documents ON doc_id = key WHERE contains(lower(source), 'src1')")
 def metadata_filter(spark, sf_dir):
-    hits = _bm25(spark, sf_dir).join(_documents(spark, sf_dir).select(F.col("doc_id").alias("key"), "source"), "key")
+    hits = _with_text(spark, sf_dir, _bm25(spark, sf_dir), "source")
     return retrieve.metadata_filter(hits, "SRC1").select("query_id", "key", "rank", "source")
 
 
 @query(f"""WITH {_BM25} SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY first, source) AS rank FROM
 (SELECT query_id, source, min(rank) AS first FROM bm25 JOIN documents ON doc_id = key GROUP BY ALL)""")
 def unique_sources(spark, sf_dir):
-    hits = _bm25(spark, sf_dir).join(_documents(spark, sf_dir).select(F.col("doc_id").alias("key"), "source"), "key")
+    hits = _with_text(spark, sf_dir, _bm25(spark, sf_dir), "source")
     return retrieve.first_of_source(hits)
 
 
@@ -165,7 +170,7 @@ def unique_sources(spark, sf_dir):
 SELECT query_id, key, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}_]+')), regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}_]+'))) / len(list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}_]+'))), 6) AS score
 FROM bm25 JOIN documents d ON doc_id = key JOIN benchmark b ON item_id = query_id) QUALIFY rank <= 5""")
 def rerank_topk(spark, sf_dir):
-    hits = _bm25(spark, sf_dir).join(_documents(spark, sf_dir).select(F.col("doc_id").alias("key"), "text"), "key").join(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    hits = _with_text(spark, sf_dir, _bm25(spark, sf_dir)).join(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     scorer = lambda q, t: F.round(retrieve.overlap_scorer(q, t), 6)
     return retrieve.rerank(hits, 5, scorer).select("query_id", "key", "score", "rank")
 
@@ -311,7 +316,7 @@ packs AS (SELECT query_id, count(*) AS packed, string_agg(block, chr(10) ORDER B
 SELECT item_id AS query_id, coalesce(packed, 0) AS packed, CAST({len(generate.HEADER)} + 9 + 1 + len(text) + 11 + len(coalesce(s, '')) AS INT) AS prompt_chars, sha256(coalesce(s, '')) AS sources_hash FROM benchmark LEFT JOIN packs ON query_id = item_id""")
 def prompt_pack(spark, sf_dir):
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    hits = _bm25(spark, sf_dir).join(_documents(spark, sf_dir).select(F.col("doc_id").alias("key"), "text"), "key")
+    hits = _with_text(spark, sf_dir, _bm25(spark, sf_dir))
     done = generate.pack_prompts(asked, hits).join(asked, "query_id")
     sources = F.substring("prompt", F.length("question") + len(generate.HEADER) + len("QUESTION:\n\n\nSOURCES:\n") + 1, 1 << 30)
     return done.select("query_id", "packed", F.length("prompt").alias("prompt_chars"), F.sha2(sources, 256).alias("sources_hash"))
@@ -320,7 +325,7 @@ def prompt_pack(spark, sf_dir):
 @query()
 def ask_batch(spark, sf_dir):
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    hits = _bm25(spark, sf_dir, 5).join(_documents(spark, sf_dir).select(F.col("doc_id").alias("key"), "text"), "key")
+    hits = _with_text(spark, sf_dir, _bm25(spark, sf_dir, 5))
     packed = generate.pack_prompts(asked, hits).join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits")), "query_id", "left").na.fill(0, ["n_hits"])
     return generate.answer(packed, generate.FixedProvider)
 
